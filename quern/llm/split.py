@@ -3,8 +3,9 @@
 A text over the limit is cut into units at the coarsest boundaries that keep every unit under the limit: paragraphs;
 sentences only inside a paragraph that is too long; words only inside such a sentence; characters only inside such a
 word. Dynamic programming over the ends of the units then chooses the cuts: it minimises the sum of a penalty for the
-kind of each cut and the squared imbalance of each piece, over all ways in which no piece is over the limit. Each
-piece but the first then starts earlier, by up to ``overlap`` characters, at a sentence or word where one starts there.
+kind of each cut and the squared imbalance of each piece, over all ways in which no piece is over the limit with the
+overlap that it gets: each piece but the first starts earlier, by up to ``overlap`` characters, at a sentence or word
+where one starts there. Only a unit that alone leaves less room than that gets a shorter overlap.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ def _spans(text: str, start: int, end: int, separator: re.Pattern) -> list[tuple
     return out
 
 
-def units(text: str, limit: int = LIMIT) -> tuple[list[tuple[int, int, int]], int]:
+def units(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[list[tuple[int, int, int]], int]:
     """The units (start, end, kind of the boundary after it) of a text, and the finest kind that it needs (index into
     ``KINDS``). White space around the text and between units belongs to none."""
     a, b = len(text) - len(text.lstrip(" \t\r\n")), len(text.rstrip(" \t\r\n"))
@@ -54,8 +55,8 @@ def units(text: str, limit: int = LIMIT) -> tuple[list[tuple[int, int, int]], in
             out.append((start, end, kind))
             return
         need = max(need, kind + 1)
-        if kind == 2:  # one stretch without white space: a position every quarter of the limit will do
-            step = max(1, limit // 4)
+        if kind == 2:  # one stretch without white space: a position every quarter of what the overlap leaves will do
+            step = max(1, (limit - overlap) // 4)
             out.extend((s, min(s + step, end), 3) for s in range(start, end, step))
         else:
             for s, e in _spans(text, start, end, (_SENTENCE, _WORD)[kind]):
@@ -72,6 +73,8 @@ def cuts(parts: list[tuple[int, int, int]], limit: int = LIMIT, overlap: int = O
     """The pieces, as (first unit, last unit), of least cost. Of equal costs the longer last piece is taken."""
     n = len(parts)
     starts, ends = [p[0] for p in parts], [p[1] for p in parts]
+    # where a piece that begins with unit i begins with its whole overlap
+    least = [starts[0]] + [max(starts[0], e - overlap) for e in ends[:-1]]
     total = ends[-1] - starts[0]
     target = total / max(1, -(-total // max(1, limit - overlap)))
     # a piece costs 1, so that no more pieces are made than the limit asks for, its cut and its imbalance
@@ -81,7 +84,7 @@ def cuts(parts: list[tuple[int, int, int]], limit: int = LIMIT, overlap: int = O
     low = 0
     for j in range(1, n + 1):
         end = ends[j - 1]
-        while end - starts[low] > limit:
+        while low < j - 1 and end - least[low] > limit:  # one unit alone always fits, if with less overlap
             low += 1
         here = 0.0 if j == n else PENALTY[parts[j - 1][2]]
         if start_of is not None and j - low > 40:

@@ -1,0 +1,32 @@
+"""The pieces of a text: within the limit, in order, and each with the end of the one before."""
+
+import pytest
+
+from quern.llm.split import pieces
+
+LIMIT, OVERLAP = 2_000, 200
+
+
+def overlaps(text):
+    spans, _ = pieces(text)
+    assert spans[0][0] == len(text) - len(text.lstrip()) and spans[-1][1] == len(text.rstrip())
+    assert all(e - s <= LIMIT for s, e in spans)
+    for (s, e), (t, f) in zip(spans, spans[1:]):
+        assert s < t and e < f and not text[e:t].strip() and e - t <= OVERLAP
+    return [max(0, e - t) for (_, e), (t, _) in zip(spans, spans[1:])]
+
+
+def test_unbroken_run_repeats_the_whole_overlap():
+    assert set(overlaps("x" * 10_000)) == {OVERLAP}
+
+
+@pytest.mark.parametrize("size", [30, 45, 90])
+def test_short_paragraphs_leave_room_for_the_overlap(size):
+    paragraph = ("a civic page tells people what to do " * 5)[: size - 1].strip() + "."
+    found = overlaps("\n\n".join([paragraph] * (3_900 // (size + 2))))
+    assert found and all(x >= OVERLAP - size - 4 for x in found)
+
+
+def test_a_unit_that_leaves_no_room_gets_what_is_left():
+    first, second = overlaps("aa " * 333 + "\n\n" + "b c" * 633 + "\n\n" + "d e " * 100)
+    assert 90 <= first < 100 and second >= 190

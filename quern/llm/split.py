@@ -124,18 +124,13 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[list[
         if spans:
             earlier_start, earlier_end = spans[-1]
             least = max(earlier_end - overlap, end - limit, earlier_start + 1)
-            if least < start:
-                inside = parts[first - 1][2] == 3
+            if least < earlier_end:
                 k = bisect_left(starts, least)
-                window = text[least - 1 : start] if least else text[:start]
                 if k < first:
                     start = starts[k]
-                elif m := _SENTENCE.search(window):
-                    start = min(start, least - 1 + m.end())
-                elif m := _WORD.search(window):
-                    start = min(start, least - 1 + m.end())
-                elif inside:
-                    start = least
+                else:  # only up to the end of the earlier piece, so that the cut's own separator is none
+                    m = _SENTENCE.search(text, least - 1, earlier_end) or _WORD.search(text, least - 1, earlier_end)
+                    start = m.end() if m else least
         spans.append((start, end))
     return spans, need
 

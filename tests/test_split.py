@@ -30,3 +30,20 @@ def test_short_paragraphs_leave_room_for_the_overlap(size):
 def test_a_unit_that_leaves_no_room_gets_what_is_left():
     first, second = overlaps("aa " * 333 + "\n\n" + "b c" * 633 + "\n\n" + "d e " * 100)
     assert 90 <= first < 100 and second >= 190
+
+
+def test_a_long_last_sentence_is_repeated_from_a_word():
+    long = ("word " * 60).strip() + "."
+    text = "\n\n".join(["Short one. " * 120 + long, "Another. " * 150 + long, "Last. " * 100])
+    found = overlaps(text)
+    assert found and all(x > OVERLAP - 6 for x in found)
+
+
+def test_one_long_stretch_at_the_end_is_repeated_by_characters():
+    assert overlaps("word " * 300 + "x" * 250 + "\n\n" + "word " * 300) == [OVERLAP]
+
+
+def test_no_room_for_any_overlap_starts_at_the_unit():
+    text = "aa " * 600 + "\n\n\n\n" + "b c" * 666 + "b"
+    spans, _ = pieces(text)
+    assert spans[1] == (text.index("b"), len(text))

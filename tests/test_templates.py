@@ -1,0 +1,25 @@
+"""p3_found: placeholders, messages and filler, and pages that only look like them."""
+
+import __spark_entry__ as entries
+from quern.llm.templates import template_records
+
+PAGE = "Fees\n\n" + "Every household can return the form to the counter within ten days of the notice. " * 3
+CASES = {
+    "a": ("T", PAGE + "\n\nCall {{ phone }} for help."), "b": ("[Insert fee here]", PAGE), "c": ("T", PAGE + "\nAsk $fee_schedule$ or {0}"), "d": ("{page.title}", None),
+    "e": ("T", "home | about | maps\nThe page /x could not be found."), "f": ("T", "Lorem ipsum dolor amet elit sed magna " * 90), "g": ("T", "You need to enable JavaScript to run the app."),
+}
+OTHERS = {
+    "p": ("Error in your rates notice", PAGE), "q": ("Lost and not found", PAGE + "\n\nAccess denied can be appealed [form 12B] {see note 3} [PDF, 2 MB], $ 20 and 30%."),
+    "r": ("T", None), "s": ("T", " \r\n "), "t": (None, PAGE + "\n\nTurn on JavaScript."),
+}
+
+
+def test_cases_and_look_alikes(spark):
+    rows = [(k, *v) for k, v in (CASES | OTHERS).items()]
+    df = template_records(spark.createDataFrame(rows + rows[:1], "doc_id string, title string, full_text string"))
+    assert sorted(r.doc_id for r in df.collect()) == sorted(CASES)
+
+
+def test_registered(spark):
+    df = entries.queries()["p3_found"](spark, "/root/testdata/sf0.001")
+    assert df.dtypes == [("doc_id", "string")] and df.count() > 0

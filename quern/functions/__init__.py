@@ -1 +1 @@
-"""See the README."""
+"""Empty: no operator of this kind exists yet."""

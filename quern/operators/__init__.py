@@ -1 +1 @@
-"""See the README."""
+"""Operators on whole tables: what changed between snapshots."""

@@ -1 +1 @@
-"""Sources: tables with explicit columns, recorded calls, configuration files."""
+"""Sources: the Parquet tables of a data folder."""

@@ -5,6 +5,10 @@ sequence of its lines, a sequence database is partitioned by source, and the sup
 distinct documents of the source that hold it. Level 1 finds the frequent single lines; each document is then
 projected onto them. Each further level extends the projected patterns by the next frequent line of the same document
 and keeps the extensions with enough support. Every line in an occurrence of a frequent sequence is deleted.
+
+Against PrefixSpan as published, only contiguous sequences of the projected documents of up to ``MAX_LENGTH`` lines
+are reported: n lines that one page layout repeats have 2**n - 1 frequent subsequences with gaps. The deleted lines
+are the same, since every line of any frequent sequence is frequent by itself and so stands in level 1.
 """
 
 from __future__ import annotations

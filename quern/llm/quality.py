@@ -1,9 +1,16 @@
 """Per-document text quality statistics, and fixed-threshold rules that tell prose from lists, tables and junk.
 
-One pass over each text gives the counts below; the rules then run over whole columns of a batch. The thresholds of
-symbol share, bullet lines, common words and repeated phrases follow the published quality rules for web corpora
-(a document needs common words, at most 90 % bullet lines, few symbols, no dominating phrase); those for tables and
-menus say the same of cells and of short lines. Every rule that a text breaks is recorded as a reason.
+One pass over each text gives the counts below; the rules then run over whole columns of a batch. Every rule that a
+text breaks is recorded as a reason. The rules are this module's own, in the manner of the published quality rules for
+web corpora; they differ from those where a sentence, a page without end punctuation or a page that holds a list must
+stay prose:
+
+* bullet lines: from 0.7 with less than half of the words in sentences (published: over 0.9);
+* symbols: a share of 0.4 of all characters that are not white space (published: 0.1 of the words);
+* word count (published: 50 at least), common words (two of eight) and end punctuation: counted, but no rule alone,
+  as they would take prose; common words count only with strange words;
+* mean word length (published: 3 to 10): counted, but no rule, as the rules on strange words find what it would find;
+* cells, values, short lines, items in a line, strange words and broken characters: added, not published.
 """
 
 from __future__ import annotations

@@ -1 +1 @@
-"""Operators on whole tables: what changed between snapshots."""
+"""Operators: functions from DataFrames to DataFrames."""

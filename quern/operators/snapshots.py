@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.plans.lineage import BROADCAST_ROWS
-
 
 def instant(ts: Column) -> Column:
     """ISO-8601 text as an instant; a time without offset is UTC; null and unreadable texts give null."""
@@ -42,24 +40,15 @@ def snapshot_changes(snapshots: DataFrame, no: str = "snapshot_no", key: str = "
 
     EXCEPT ALL both ways drops the rows that both snapshots share; what is left, a small part of a delivery, is full
     joined by key. Each row stands once as the newer side under its own number and once as the older side under the
-    number of its successor, so all pairs of snapshots are compared in one pass and no join is on the snapshot
-    number alone. The successor of each number is looked up in a broadcast table of the distinct numbers; with more
-    than ``BROADCAST_ROWS`` snapshots that table is joined by a shuffle instead. An empty table and a single
-    snapshot give no rows; null equals null and differs from every hash; extra columns are never read."""
-    spark = snapshots.sparkSession
+    number of its successor, so all pairs of snapshots are compared in one pass. The successors come from one scalar
+    subquery, the sorted distinct numbers (one number a delivery, formed in parts before the shuffle), so no join is
+    on the snapshot number alone. An empty table and a single snapshot give no rows; null equals null and differs
+    from every hash; extra columns are never read."""
     rows = latest_rows(snapshots, no, key, value, ts)
-    kind = snapshots.schema[no].dataType.simpleString()
-    numbers = snapshots.where(F.col(no).isNotNull()).select(F.col(no).alias("no")).distinct()
-    known = sorted(r[0] for r in numbers.limit(BROADCAST_ROWS + 1).collect())
-    if len(known) <= BROADCAST_ROWS:
-        successor = F.broadcast(spark.createDataFrame(list(zip(known, known[1:])), f"no {kind}, next_no {kind}"))
-    else:
-        from pyspark.sql import Window
-
-        successor = numbers.withColumn("next_no", F.lead("no").over(Window.orderBy("no"))).where("next_no is not null")
-    second = successor.select(F.col("next_no").alias("no"))
-    newer = rows.join(second, "no", "left_semi").select("no", "key", "value")
-    older = rows.join(successor, "no").select(F.col("next_no").alias("no"), "key", "value")
+    known = snapshots.select(F.array_sort(F.collect_set(no))).scalar()
+    at = F.array_position(known, F.col("no")).cast("int")
+    newer = rows.where(at > 1).select("no", "key", "value")
+    older = rows.where(at < F.size(known)).select(F.element_at(known, at + 1).alias("no"), "key", "value")
     gained = newer.exceptAll(older).select("no", "key", F.lit(1).alias("new"))
     lost = older.exceptAll(newer).select("no", "key", F.lit(1).alias("old"))
     n, o = gained.alias("n"), lost.alias("o")

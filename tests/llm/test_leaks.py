@@ -44,3 +44,34 @@ def test_query_same_as_plain(spark):
     assert df.dtypes == [("doc_id", "bigint"), ("item_id", "bigint")]
     found = sorted(tuple(r) for r in df.collect())
     assert found and found == plain(docs, items)
+
+
+def test_wavelet_ranks_and_places_same_as_counting():
+    import numpy as np
+
+    from quern.llm.leaks import Index, WaveletMatrix
+
+    pick = np.random.RandomState(4)
+    for top in (1, 2, 9, 300):
+        s = pick.randint(0, top + 1, 500)
+        tree = WaveletMatrix(s)
+        c, i = pick.randint(0, top + 1, 200), pick.randint(0, 501, 200)
+        assert tree.rank(c, i).tolist() == [int((s[:b] == a).sum()) for a, b in zip(c, i)]
+        assert tree.at(np.arange(500)).tolist() == s.tolist()
+    text = pick.randint(1, 4, 400)
+    index = Index(text)
+    pattern = text[37:42]
+    low, high = index.ranges(pattern[None])
+    there = [i for i in range(396) if (text[i : i + 5] == pattern).all()]
+    assert sorted(index.locate(np.arange(low[0], high[0])).tolist()) == there
+
+
+def test_spans_are_merged_and_removed(spark):
+    from quern.llm.leaks import without_leaks
+
+    passage = " ".join(f"word{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, "before " + passage + ", after", "x"), (2, "nothing here", "y"), (3, None, "z"), (4, "Ｗide é " + passage.upper() + " end", "w")], "doc_id bigint, text string, item_id string")
+    items = spark.createDataFrame([(7, passage), (8, passage[: len(passage) - 7]), (9, None)], "item_id bigint, text string")
+    found = {r.doc_id: r.clean_text for r in without_leaks(docs, items).collect()}
+    assert found == {1: "before , after", 2: "nothing here", 3: None, 4: "Ｗide é  end"}
+    assert without_leaks(docs.limit(0), items).count() == 0 and without_leaks(docs, items.limit(0)).count() == 4

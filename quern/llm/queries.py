@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm.boilerplate import boilerplate_lines
 from quern.llm.encode import token_ids
 from quern.llm.leaks import leaked_items
-from quern.llm.near import near_pairs
+from quern.llm.near import near_groups, near_pairs
 from quern.llm.quality import text_quality
 from quern.llm.repeats import repeated_lines
 from quern.llm.split import split_texts
@@ -33,10 +34,22 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template_records(table(spark, sf_dir, "corpus_docs"))
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate_lines(table(spark, sf_dir, "corpus_docs"))
+
+
+def _comparable(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "corpus_docs").select(F.lit("document").alias("item_kind"), F.col("doc_id").alias("id"), F.col("full_text").alias("text"))
     questions = table(spark, sf_dir, "question_table").select(F.lit("question").alias("item_kind"), F.col("question_id").alias("id"), F.col("question").alias("text"))
-    return near_pairs(documents.unionByName(questions))
+    return documents.unionByName(questions)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_pairs(_comparable(spark, sf_dir))
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(_comparable(spark, sf_dir))
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,5 +103,5 @@ WITH docs AS (
 SELECT DISTINCT doc_id, CAST(line_no AS INTEGER) AS line_no FROM contents JOIN repeated USING (source, content)
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p5_found, p7_ids, p8_found, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p5_groups, p7_ids, p8_found, p9_found)}
 SQL = {"p1_found": _P1, "p2_found": _P2}

@@ -1 +1 @@
-"""Empty: no operator of this kind exists yet."""
+"""Column functions: text, URLs, labels, identities. All are Catalyst expressions but ``text.nfkc``."""

@@ -1 +1 @@
-"""Sources: the Parquet tables of a data folder."""
+"""Sources: Parquet tables, lists and configurations of pages, sheets, caches and checkpoints, recorded calls."""

@@ -1 +1 @@
-"""Empty: no operator of this kind exists yet."""
+"""Structured Streaming: incremental ingest of documents, windowed counts of events."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["snapshots", "texts"]
+MODULES = ["snapshots", "texts", "evaluate", "diagnose"]
 
 
 def registered() -> tuple[dict, dict]:

@@ -32,8 +32,8 @@ FROM (@questions@) q, (SELECT unnest(range(10)) AS m)
 """
 PIECES["letters"] = "list_sort(list_distinct(regexp_extract_all(upper(coalesce(@x@, '')), '[A-Z]')))"
 PIECES["scored"] = """
-SELECT *, list_sort(list_filter(list_distinct(regexp_extract_all(coalesce(answer, ''), '[A-Z]')), lambda x: list_contains(valid, x))) AS gold,
-  list_sort(list_filter(list_distinct(regexp_extract_all(CASE WHEN regexp_matches(tail, '^[A-H](, [A-H])*$') THEN tail ELSE '' END, '[A-Z]')), lambda x: list_contains(valid, x))) AS extracted
+SELECT *, list_sort(list_filter(list_distinct(regexp_extract_all(upper(coalesce(answer, '')), '[A-Z]')), lambda x: list_contains(valid, x))) AS gold,
+  list_sort(list_filter(list_distinct(regexp_extract_all(CASE WHEN regexp_matches(tail, '(?i)^[A-Z]( *(,|;|/|&| and ) *[A-Z])*[ .]*$') THEN regexp_replace(upper(tail), ' AND ', ',', 'g') ELSE '' END, '[A-Z]')), lambda x: list_contains(valid, x))) AS extracted
 FROM (SELECT *, list_sort(list_distinct(regexp_extract_all(coalesce(question, ''), '(?m)^@WS@*([A-Z])\\.', 1))) AS valid, regexp_extract(response, 'Answer: (.*)$', 1) AS tail FROM (@answers@))
 """
 #: The normal form of the address ``u``.

@@ -19,12 +19,12 @@ def list_documents(documents: DataFrame) -> DataFrame:
     return documents.select(*METADATA)
 
 
-def document_metadata(documents: DataFrame, doc_id: str) -> DataFrame:
+def document_metadata(documents: DataFrame, doc_id: str | Column) -> DataFrame:
     """All columns of one document; no row if it is not there."""
     return documents.where(F.col("doc_id") == doc_id)
 
 
-def full_text(documents: DataFrame, doc_id: str) -> DataFrame:
+def full_text(documents: DataFrame, doc_id: str | Column) -> DataFrame:
     return document_metadata(documents, doc_id).select("full_text")
 
 
@@ -32,11 +32,11 @@ def chunks_in_order(chunks: DataFrame) -> DataFrame:
     return chunks.orderBy("doc_id", "idx", "chunk_id")
 
 
-def chunks_of(chunks: DataFrame, doc_id: str) -> DataFrame:
+def chunks_of(chunks: DataFrame, doc_id: str | Column) -> DataFrame:
     return chunks_in_order(chunks.where(F.col("doc_id") == doc_id))
 
 
-def chunk_by_id(chunks: DataFrame, chunk_id: str) -> DataFrame:
+def chunk_by_id(chunks: DataFrame, chunk_id: str | Column) -> DataFrame:
     return chunks.where(F.col("chunk_id") == chunk_id)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["snapshots", "texts", "evaluate", "diagnose"]
+MODULES = ["snapshots", "texts", "evaluate", "diagnose", "corpora", "pages"]
 
 
 def registered() -> tuple[dict, dict]:

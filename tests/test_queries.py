@@ -1,6 +1,7 @@
 """Every registered query against its SQL over a small data folder; those without SQL must give rows."""
 
 import math
+import os
 from pathlib import Path
 
 import duckdb
@@ -8,7 +9,7 @@ import pytest
 
 from quern.queries import registered
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDER = os.environ.get("QUERN_DATA", "/root/testdata/sf0.001")
 QUERIES, SQL = registered()
 
 

@@ -25,8 +25,21 @@ from pyspark.sql import functions as F
 
 from quern.llm.batches import slices
 
-#: Place of the vocabulary and merges; a parameter of every function that needs it.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+#: Folder of the public vocabularies, and the file of the one that is meant; the path is a parameter of every
+#: function that needs it.
+FOLDER, FILE = "/opt/tokenizers", "byte_bpe_50k.json"
+
+
+def vocabulary_path(file: str = FILE) -> str:
+    """The place of a public vocabulary: where the installed package ``public_tokenizers`` says, else in ``FOLDER``."""
+    try:
+        import public_tokenizers
+
+        return str(public_tokenizers.path(file))
+    except ImportError:
+        return f"{FOLDER}/{file}"
+
+
 #: The file is shipped to the workers, so its size is checked.
 MAX_VOCABULARY_BYTES = 64_000_000
 #: Pre-tokens kept with their ids in each worker, and the longest pre-token that is kept.
@@ -186,12 +199,13 @@ def _encoder(source: str) -> Encoder:
     return Encoder(source)
 
 
-def token_ids(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+def token_ids(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """(key, ids): the ids of every text; an empty text gives an empty list, a null text gives null.
 
     A narrow map without shuffle; rows that are repeated are encoded again and kept, null keys too. Only the two
     columns are read, so extra columns never clash. The vocabulary file (bounded by ``MAX_VOCABULARY_BYTES``) is
     read on the driver and broadcast."""
+    vocabulary = vocabulary or vocabulary_path()
     if Path(vocabulary).stat().st_size > MAX_VOCABULARY_BYTES:
         raise ValueError(f"{vocabulary} is larger than {MAX_VOCABULARY_BYTES} bytes")
     shipped = documents.sparkSession.sparkContext.broadcast(Path(vocabulary).read_text(encoding="utf-8"))

@@ -69,7 +69,11 @@ def units(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[list[t
     return out, need
 
 
-def cuts(parts: list[tuple[int, int, int]], limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
+#: From so many candidates on the starts of a piece are compared by numpy; the result is the same.
+WIDE = 40
+
+
+def cuts(parts: list[tuple[int, int, int]], limit: int = LIMIT, overlap: int = OVERLAP, wide: int = WIDE) -> list[tuple[int, int]]:
     """The pieces, as (first unit, last unit), of least cost. Of equal costs the longer last piece is taken."""
     n = len(parts)
     starts, ends = [p[0] for p in parts], [p[1] for p in parts]
@@ -79,7 +83,7 @@ def cuts(parts: list[tuple[int, int, int]], limit: int = LIMIT, overlap: int = O
     target = total / max(1, -(-total // max(1, limit - overlap)))
     # a piece costs 1, so that no more pieces are made than the limit asks for, its cut and its imbalance
     cost, back = [0.0] * (n + 1), [0] * (n + 1)
-    start_of = np.array(starts, dtype=np.float64) if n > 400 else None
+    start_of = np.array(starts, dtype=np.float64)
     cost_of = np.zeros(n + 1)
     low = 0
     for j in range(1, n + 1):
@@ -87,7 +91,7 @@ def cuts(parts: list[tuple[int, int, int]], limit: int = LIMIT, overlap: int = O
         while low < j - 1 and end - least[low] > limit:  # one unit alone always fits, if with less overlap
             low += 1
         here = 0.0 if j == n else PENALTY[parts[j - 1][2]]
-        if start_of is not None and j - low > 40:
+        if j - low > wide:
             off = (end - start_of[low:j] - target) / target
             every = cost_of[low:j] + off * off
             k = int(every.argmin())

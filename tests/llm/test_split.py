@@ -47,3 +47,26 @@ def test_no_room_for_any_overlap_starts_at_the_unit():
     text = "aa " * 600 + "\n\n\n\n" + "b c" * 666 + "b"
     spans, _ = pieces(text)
     assert spans[1] == (text.index("b"), len(text))
+
+
+def test_narrow_and_wide_comparison_give_the_same_cuts():
+    import random
+
+    from quern.llm.split import cuts, units
+
+    pick = random.Random(8)
+    for size in (3, 30, 300):
+        text = "".join(pick.choice(["word ", "ab. ", "x" * pick.randrange(1, size), "\n\n", " "]) for _ in range(2_500))
+        for limit, overlap in ((2_000, 200), (500, 50), (60, 10)):
+            parts, _ = units(text, limit, overlap)
+            assert cuts(parts, limit, overlap, wide=0) == cuts(parts, limit, overlap, wide=10**9)
+
+
+def test_rows_nulls_ties_and_clashing_columns(spark):
+    from quern.llm.split import split_texts
+
+    df = spark.createDataFrame([("a", "word " * 900, 1), ("a", "word " * 900, 1), (None, "x" * 2001, 2), ("c", None, 3), ("d", "", 4), ("e", " " * 3000, 5), ("f", "y" * 2000, 6)], "k string, t string, piece_no int")
+    rows = split_texts(df, "k", "t").collect()
+    assert {r.k for r in rows} == {"a", None, "e"} and all(r.piece is None or len(r.piece) <= 2000 for r in rows)
+    assert [r.piece for r in rows if r.k == "e"] == [None] and {r.boundary for r in rows if r.k is None} == {"none"}
+    assert split_texts(df.limit(0), "k", "t").count() == 0

@@ -148,3 +148,17 @@ def skip_log(candidates: DataFrame, url: str = "source_url", text: str = "source
     """(question_id, model, url, reason) of what can't be diagnosed."""
     reason = skip_reason(F.col(url), F.col(text))
     return candidates.where(reason.isNotNull()).select("question_id", "model", F.coalesce(not_blank(F.col(url)), F.lit("")).alias("url"), reason.alias("reason"))
+
+
+def diagnostic_rows(diagnosed: DataFrame) -> DataFrame:
+    """The columns of a diagnosis as they are exported, in their order, missing ones left out."""
+    order = ["question_id", "model", "source_url", "category", "city", "response", "diagnostic_response", "diag_correct", "searched", "cited", "failure_mode"]
+    present = diagnosed.select(*[c for c in order if c in diagnosed.columns])
+    return present.withColumn("n_cited", F.size(pipe_split(F.col("cited")))) if "cited" in present.columns else present
+
+
+def per_model_columns(diagnosed: DataFrame, model: str) -> DataFrame:
+    """The rows of one model with its name in the columns that belong to it."""
+    own = ["response", "searched", "cited", "diag_correct", "failure_mode"]
+    rows = diagnosed.where(F.col("model") == model).drop("model")
+    return rows.withColumnsRenamed({c: f"{c}_{model}" for c in own if c in rows.columns})

@@ -121,3 +121,20 @@ def format_question(question: Column, options: Column) -> Column:
 
 def format_quotes(quotes: Column) -> Column:
     return F.array_join(F.transform(quotes, lambda q: F.concat(F.lit('"'), q, F.lit('"'))), "\n")
+
+
+def export_rows(questions: DataFrame, city: str = "") -> DataFrame:
+    """The ten columns of an exported question: formatted question and quotes, the institution's short name or
+    ``city`` as its place, address and title of its document; null as empty."""
+    empty = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return questions.select(
+        "question_id", format_question(F.col("question"), F.col("options")).alias("question"), "answer", empty("category").alias("category"), empty("institution").alias("institution"), F.coalesce(not_blank(F.col("institution_short_name")), F.lit(city)).alias("city"),
+        empty("source_uri").alias("source_url"), empty("title").alias("page_title"), format_quotes(F.coalesce("quotes", F.array().cast("array<string>"))).alias("supporting_quotes"), empty("model_used").alias("model_used"),
+    )
+
+
+def checkpoint_lines(questions: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(value): one JSON line a document with all its questions, as a checkpoint holds them. The questions of a
+    document come from one completion, so the group is small."""
+    pair = F.struct(*[c for c in questions.columns if c != key])
+    return questions.groupBy(key).agg(F.array_sort(F.collect_list(pair)).alias("pairs")).select(F.to_json(F.struct(key, "pairs")).alias("value"))

@@ -196,6 +196,34 @@ def q_existing_keys(spark, folder):
     return sheets.existing_keys(table(spark, folder, "question_table"), ["city", "category"])
 
 
+def q_export_rows(spark, folder):
+    rows = generate.explode_questions(_completions(spark, folder)).join(questions(spark, folder).select("question_id", "category", "institution", F.col("city").alias("institution_short_name"), F.col("source_url").alias("source_uri"), F.col("page_title").alias("title"), "model_used"), "question_id")
+    out = generate.export_rows(rows, "nowhere")
+    return out.select("question_id", "answer", "category", "institution", "city", "source_url", "page_title", "model_used", F.md5("question").alias("question_hash"), F.md5("supporting_quotes").alias("quotes_hash"))
+
+
+def q_checkpoint_lines(spark, folder):
+    return generate.checkpoint_lines(questions(spark, folder).select(F.col("question_id").alias("doc_id"), F.md5("question").alias("question"), F.coalesce("answer", F.lit("")).alias("answer")))
+
+
+def q_search_hits(spark, folder):
+    """Events as recorded search results: those with an address, five a query, clipped."""
+    from quern.operators.evaluate import search_hits
+
+    e = table(spark, folder, "events").select(F.col("user_id").alias("query"), (F.col("event_id") % 9).alias("rank"), F.when(F.col("event_id") % 4 != 0, F.concat(F.lit("https://ex.org/"), "event_id")).otherwise("").alias("url"), F.repeat("props", F.lit(200)).alias("text"))
+    return search_hits(e).select("query", "rank", "url", F.length("text").alias("n_chars"))
+
+
+def q_recorded_calls(spark, folder):
+    """Requests joined with what was recorded for their key, and the completions read by their schema."""
+    from quern.sources.recorded import joined_calls, parsed_completions
+
+    requests = _completions(spark, folder).select(F.col("question_id").alias("request_key"))
+    calls = _completions(spark, folder).where("n % 3 != 0").select(F.col("question_id").alias("request_key"), F.col("completion").alias("text"))
+    read = parsed_completions(joined_calls(requests, calls.union(calls)), generate.COMPLETION)
+    return read.select("request_key", F.col("failed").cast("int").alias("failed"), F.coalesce(F.size("parsed.questions"), F.lit(0)).alias("n_questions"))
+
+
 _NORM = strip_sql("regexp_replace(regexp_replace(lower({}), '[$€£¥₹%''\"`‘’“”–—-]', '', 'g'), '@WS@+', ' ', 'g')")
 _QUOTED = f"""
 SELECT coalesce(doc_id, 'none') AS doc_id, question_id AS question, quotes, list_filter(quotes, lambda x: NOT contains({_NORM.format("coalesce(full_text, '')")}, {_NORM.format('x')})) AS bad
@@ -250,6 +278,15 @@ SQL = {
     "q_cell_routing": sql(f"SELECT doc_id, 'Cell ' || c AS sheet, CASE WHEN c IN ('03', '04', '07', '10') THEN list_position(['03', '04', '07', '10'], c) ELSE 5 END AS cell_order FROM (SELECT doc_id, coalesce(nullif({_FIELD.format('cell')}, ''), 'other') AS c FROM (@docs@))"),
     "q_union_sheets": "SELECT lang AS sheet, count(*) AS n FROM documents WHERE lang IN ('en', 'es', 'fr') GROUP BY ROLLUP (lang)",
     "q_rename_missing": sql("SELECT question_id, question AS question_text, answer AS gold_answer FROM (@questions@)"),
+    "q_export_rows": sql(f"""
+        SELECT p.question_id, array_to_string(list_sort(list_transform({_RIGHT.replace('answer', 'p.answer')}, lambda i: {_LABEL})), ', ') AS answer, coalesce(category, '') AS category, coalesce(institution, '') AS institution, coalesce(nullif(city, ''), 'nowhere') AS city,
+          coalesce(source_url, '') AS source_url, coalesce(page_title, '') AS page_title, coalesce(model_used, '') AS model_used,
+          md5(stem || chr(10) || chr(10) || array_to_string(list_transform(range(1, len(o) + 1), lambda i: '  ' || {_LABEL} || '. ' || o[i][6:]), chr(10))) AS question_hash,
+          md5(CASE WHEN p.n % 5 = 0 THEN '' ELSE '"' || coalesce(p.supporting_quotes, '') || '"' END) AS quotes_hash
+        FROM (@p@) p JOIN (SELECT question_id, category, institution, city, source_url, page_title, model_used FROM (@questions@)) q USING (question_id)""", p=_PARSED).replace("n % 11", "p.n % 11").replace("n % 13", "p.n % 13"),
+    "q_checkpoint_lines": sql("SELECT '{\"doc_id\":\"' || question_id || '\",\"pairs\":[{\"question\":\"' || md5(question) || '\",\"answer\":\"' || coalesce(answer, '') || '\"}]}' AS value FROM (@questions@)"),
+    "q_search_hits": "SELECT user_id AS query, event_id % 9 AS rank, 'https://ex.org/' || event_id AS url, least(1200, 200 * length(props)) AS n_chars FROM events WHERE event_id % 4 <> 0 AND event_id % 9 <= 5",
+    "q_recorded_calls": sql("SELECT question_id AS request_key, CAST(n % 3 = 0 OR n % 19 = 0 AS INTEGER) AS failed, CASE WHEN n % 3 = 0 OR n % 19 = 0 THEN 0 ELSE 1 END AS n_questions FROM (@questions@)"),
     "q_existing_keys": "SELECT DISTINCT city, category FROM question_table",
 }
 QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("q_")}

@@ -95,6 +95,15 @@ def q_known_models(spark, folder):
     return answers(spark, folder).where(F.col("model").isin("m1", "m3", "nobody")).select("question_id", "model")
 
 
+def q_diagnostic_rows(spark, folder):
+    rows = diagnose.diagnostic_rows(_diagnosed(spark, folder))
+    return rows.select("question_id", "model", F.coalesce("source_url", F.lit("")).alias("source_url"), "category", "city", F.md5("response").alias("response_hash"), F.col("diag_correct").cast("int").alias("diag_correct"), F.col("searched").cast("int").alias("searched"), "failure_mode", "n_cited")
+
+
+def q_per_model_columns(spark, folder):
+    return diagnose.per_model_columns(_diagnosed(spark, folder).select("question_id", "model", "category", "failure_mode"), "m3")
+
+
 _DIAGNOSED = f"""
 SELECT *, CASE WHEN trim(coalesce(source_url, '')) = '' THEN 'skipped_no_source' WHEN NOT diag_correct THEN 'comprehension' WHEN NOT searched THEN 'search_bypass'
   WHEN (n + 2 * CAST(model[2:] AS INTEGER)) % 3 = 0 AND source_url <> '' THEN 'grounding' ELSE 'retrieval' END AS failure_mode
@@ -122,6 +131,8 @@ SQL = {
     "q_cap_sample": sql(_CAP, d=_DIAGNOSED),
     "q_round_robin": sql(_ROUND, d=_DIAGNOSED),
     "q_failed_rows": "SELECT event_id FROM events WHERE event_id % 3 = 0 OR (event_id % 3 = 1 AND json_extract_string(props, '$.k') = '0')",
+    "q_diagnostic_rows": sql("SELECT question_id, model, coalesce(source_url, '') AS source_url, category, city, md5(response) AS response_hash, CAST(diag_correct AS INTEGER) AS diag_correct, CAST(searched AS INTEGER) AS searched, failure_mode, CASE WHEN (n + 2 * CAST(model[2:] AS INTEGER)) % 3 = 0 AND coalesce(source_url, '') <> '' THEN 2 ELSE 1 END AS n_cited FROM (@d@)", d=_DIAGNOSED),
+    "q_per_model_columns": sql("SELECT question_id, category, failure_mode AS failure_mode_m3 FROM (@d@) WHERE model = 'm3'", d=_DIAGNOSED),
     "q_known_models": sql("SELECT question_id, model FROM (@answers@) WHERE model IN ('m1', 'm3')"),
 }
 QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("q_")}

@@ -103,6 +103,19 @@ def q_prompt(spark, folder):
     return questions(spark, folder).select("question_id", filled.alias("prompt"), identity.request_key("m1", F.col("question_id"), "v1").alias("request_key"))
 
 
+def q_context_prompt(spark, folder):
+    from quern.functions import prompts
+
+    name = prompts.context_name(F.when(F.col("n") % 2 == 0, F.col("institution")), F.col("city"), suffix="Oceania")
+    return questions(spark, folder).select("question_id", name.alias("context"), F.md5(prompts.question_prompt(name, F.col("question"))).alias("prompt_hash"), F.md5(prompts.source_prompt(F.col("supporting_quotes"), F.col("question"))).alias("source_hash"))
+
+
+def q_institution_header(spark, folder):
+    from quern.functions import prompts
+
+    return table(spark, folder, "institutions").select("short_name", prompts.institution_header(F.col("institution"), F.col("country"), F.col("layer")).alias("header"))
+
+
 _NORMAL = "regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '@HWS@+', ' ', 'g')"
 _LINES = "array_to_string(list_filter(string_split(@t@, chr(10)), lambda x: length({}) >= @n@), chr(10))".format(strip_sql("x"))
 _TIDY = "regexp_replace({}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
@@ -148,6 +161,11 @@ SQL = {
         SELECT event_id, CAST(floor(value) = 0 AS INTEGER) AS is_zero, CAST(CASE WHEN event_id % 3 = 0 THEN true ELSE k = '1' END AS INTEGER) AS truthy, coalesce(trim(k), '') AS k,
           least(10, greatest(7, CAST(k AS INTEGER))) AS clamped, chr(64 + least(10, greatest(7, CAST(k AS INTEGER)))) AS max_label, CAST(round_even(CAST(k AS DOUBLE) * 100 / 64, 1) AS DOUBLE) AS pct, event_type || ' | ' || k AS joined, 2 AS n_parts
         FROM (SELECT *, json_extract_string(props, '$.k') AS k FROM events)""",
+    "q_context_prompt": sql("""
+        SELECT question_id, c AS context, md5(CASE WHEN c <> '' THEN 'This question is about ' || c || '.' || chr(10) || chr(10) ELSE '' END || coalesce(question, '') || chr(10) || chr(10) || '(Select all that apply)') AS prompt_hash,
+          md5('Use ONLY the source text below to answer. Do not use any outside knowledge.' || chr(10) || chr(10) || 'Source page:' || chr(10) || coalesce(supporting_quotes, '') || chr(10) || chr(10) || 'Question:' || chr(10) || coalesce(question, '') || chr(10)) AS source_hash
+        FROM (SELECT *, coalesce(CASE WHEN n % 2 = 0 THEN nullif(institution, '') END, CASE WHEN coalesce(city, '') = '' THEN '' ELSE array_to_string(list_transform(list_filter(string_split(replace(city, '-', '_'), '_'), lambda x: x <> ''), lambda x: upper(x[1]) || lower(x[2:])), ' ') || ', Oceania' END) AS c FROM (@questions@))"""),
+    "q_institution_header": "SELECT short_name, 'Institution: ' || institution || ' (' || country || ', ' || layer || ' level)' || chr(10) || chr(10) AS header FROM institutions",
     "q_prompt": sql("""
         SELECT question_id, coalesce('Institution: ' || institution || chr(10) || chr(10), '') || 'Question for '
           || array_to_string(list_transform(list_filter(string_split(replace(coalesce(city, ''), '-', '_'), '_'), lambda x: x <> ''), lambda x: upper(x[1]) || lower(x[2:])), ' ')

@@ -29,7 +29,8 @@ def joined_calls(requests: DataFrame, calls: DataFrame, key: str = "request_key"
 
 def parsed_completions(calls: DataFrame, schema: str, column: str = "text") -> DataFrame:
     """``calls`` with ``parsed``, the completion by its JSON schema, and ``failed``: whether it can't be read."""
-    return calls.withColumn("parsed", F.from_json(F.col(column), schema)).withColumn("failed", F.col("parsed").isNull())
+    whole = F.try_parse_json(F.col(column)).isNotNull()
+    return calls.withColumn("parsed", F.when(whole, F.from_json(F.col(column), schema))).withColumn("failed", F.col("parsed").isNull())
 
 
 def text_completions(calls: DataFrame, column: str = "text") -> DataFrame:

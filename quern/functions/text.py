@@ -12,7 +12,9 @@ from pyspark.sql.types import StringType
 #: White space as Python knows it, which Java's ``\\s`` does not, as the inside of a character class (Java and RE2).
 WHITE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WS = f"[{WHITE}]"
-#: The same without the line feed.
+#: The same characters as a text.
+WHITE_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: White space without the line feed.
 HWS = r"[\t\x{0b}-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Characters that quote comparison leaves out.
 QUOTE_SIGNS = "$€£¥₹%'\"`‘’“”–—-"
@@ -42,7 +44,7 @@ def nfkc(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{WS}+|{WS}+\z", "")
+    return F.btrim(text, F.lit(WHITE_CHARS))
 
 
 def newline_unify(text: Column) -> Column:
@@ -50,8 +52,8 @@ def newline_unify(text: Column) -> Column:
 
 
 def hws_collapse(text: Column) -> Column:
-    """Runs of white space other than line feeds become one space."""
-    return F.regexp_replace(text, HWS + "+", " ")
+    """Runs of white space other than line feeds become one space. Single spaces, the most, are not matched."""
+    return F.regexp_replace(text, f"{HWS}{{2,}}|{HWS.replace('-\\x{20}', '-\\x{1f}')}", " ")
 
 
 def short_line_filter(text: Column, least: int = 3) -> Column:
@@ -73,7 +75,7 @@ def normalize(text: Column, least: int = 3, unicode: bool = True) -> Column:
 
 def quote_normalize(text: Column) -> Column:
     """What two quotes are compared by: lower case, without currency, percent, quote and dash signs, spaces single."""
-    return strip(F.regexp_replace(F.translate(F.lower(text), QUOTE_SIGNS, ""), WS + "+", " "))
+    return strip(F.regexp_replace(F.translate(F.lower(text), QUOTE_SIGNS, ""), f"{WS}{{2,}}|{WS.replace('-\\x{20}', '-\\x{1f}')}", " "))
 
 
 def words(text: Column) -> Column:
@@ -81,7 +83,7 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(words(text))
+    return F.regexp_count(text, F.lit(f"[^{WHITE}]+"))
 
 
 def is_junk(text: Column) -> Column:

@@ -9,21 +9,23 @@ from quern.queries.shared import docs, questions, sql, strip_sql, url_sql
 from quern.sources.tables import table
 
 
-def _chunks(spark, folder):
-    return table(spark, folder, "chunks").distinct()
+def _chunks(spark, folder, *columns):
+    """The chunks without repeated rows, with the key and the ``columns`` that are wanted; all if none is named."""
+    chunks = table(spark, folder, "chunks")
+    return (chunks.select("chunk_id", *columns) if columns else chunks).distinct()
 
 
 def q_list_documents(spark, folder):
-    return corpus.list_documents(docs(spark, folder))
+    return corpus.list_documents(docs(spark, folder, "source_type", "source_uri", "title", "content_hash", "fetch_timestamp", "extra_json"))
 
 
 def q_chunks_in_order(spark, folder):
-    return corpus.chunks_in_order(_chunks(spark, folder)).select("chunk_id", "doc_id", "idx")
+    return corpus.chunks_in_order(_chunks(spark, folder, "doc_id", "idx")).select("chunk_id", "doc_id", "idx")
 
 
 def q_chunks_by_doc(spark, folder):
     """The chunks of one document, the first of all that have some."""
-    chunks = _chunks(spark, folder)
+    chunks = _chunks(spark, folder, "doc_id", "idx")
     return corpus.chunks_of(chunks, chunks.select(F.min("doc_id")).scalar()).select("chunk_id", "doc_id", "idx")
 
 
@@ -33,7 +35,7 @@ def q_chunk_by_id(spark, folder):
 
 
 def q_full_text(spark, folder):
-    d = docs(spark, folder)
+    d = docs(spark, folder, "full_text")
     return corpus.full_text(d, d.where("full_text is not null").select(F.min("doc_id")).scalar())
 
 
@@ -43,21 +45,21 @@ def q_document_metadata(spark, folder):
 
 
 def q_chunks_by_source(spark, folder):
-    return corpus.chunks_by_source(_chunks(spark, folder), docs(spark, folder), "pdf").select("chunk_id", "doc_id", "idx")
+    return corpus.chunks_by_source(_chunks(spark, folder, "doc_id", "idx"), docs(spark, folder, "source_type"), "pdf").select("chunk_id", "doc_id", "idx")
 
 
 def q_chunk_counts(spark, folder):
-    return corpus.corpus_counts(docs(spark, folder), _chunks(spark, folder))
+    return corpus.corpus_counts(docs(spark, folder, "source_type"), _chunks(spark, folder, "doc_id"))
 
 
 def q_union_corpora(spark, folder):
-    d = docs(spark, folder).select("source_uri", F.length("full_text").alias("n_chars"), "source_type")
+    d = docs(spark, folder, "source_uri", "full_text", "source_type").select("source_uri", F.length("full_text").alias("n_chars"), "source_type")
     united = corpus.union_corpora({k: d.where(F.col("source_type") == k) for k in ("web", "pdf")})
     return united.select("corpus", "source_uri", "n_chars")
 
 
 def q_doc_filter(spark, folder):
-    return corpus.filter_documents(docs(spark, folder), source_type="web", url_part="/services/").select("doc_id", "source_uri")
+    return corpus.filter_documents(docs(spark, folder, "source_type", "source_uri"), source_type="web", url_part="/services/").select("doc_id", "source_uri")
 
 
 def q_corpus_upsert(spark, folder):
@@ -70,17 +72,17 @@ def q_corpus_upsert(spark, folder):
 
 def q_chunk_upsert(spark, folder):
     """The pdf documents come in again with one chunk each; the others keep theirs."""
-    written = docs(spark, folder).where("source_type = 'pdf'").select("doc_id")
+    written = docs(spark, folder, "source_type").where("source_type = 'pdf'").select("doc_id")
     new = written.select(F.concat(F.lit("n"), "doc_id").alias("chunk_id"), "doc_id", F.lit(0).alias("idx"), F.lit("new").alias("text"), F.lit("{}").alias("meta_json"))
-    return corpus.upsert_chunks(_chunks(spark, folder), new, written).select("chunk_id", "doc_id", "idx")
+    return corpus.upsert_chunks(_chunks(spark, folder, "doc_id", "idx"), new, written).select("chunk_id", "doc_id", "idx")
 
 
 def q_chunk_export(spark, folder):
-    return corpus.chunk_export(_chunks(spark, folder), docs(spark, folder)).select("chunk_id", "file_name", F.md5("body").alias("body_hash"))
+    return corpus.chunk_export(_chunks(spark, folder), docs(spark, folder, "title", "source_uri", "source_type")).select("chunk_id", "file_name", F.md5("body").alias("body_hash"))
 
 
 def q_export_names(spark, folder):
-    return corpus.page_export(docs(spark, folder))
+    return corpus.page_export(docs(spark, folder, "source_uri", "title", "full_text"))
 
 
 def q_per_source_cap(spark, folder):
@@ -123,14 +125,16 @@ def q_retry_resolution(spark, folder):
 
 
 def _quoted(spark, folder):
-    """Each question with the quotes of its table and the text of the page of its address."""
+    """Each question with the quotes of its table and the text of the page of its address: the page is found by keys
+    alone, and its text is joined to the questions that have one."""
     from quern.functions.urls import normalize_url
 
-    pages = docs(spark, folder).where("full_text is not null").select(normalize_url(F.col("source_uri")).alias("u"), "doc_id", "full_text")
-    page = pages.groupBy("u").agg(F.min(F.struct("doc_id", "full_text")).alias("p"))
-    q = questions(spark, folder).withColumn("u", normalize_url(F.col("source_url")))
+    d = docs(spark, folder, "source_uri", "full_text").where("full_text is not null")
+    page = d.groupBy(normalize_url(F.col("source_uri")).alias("u")).agg(F.min("doc_id").alias("page_id"))
+    q = questions(spark, folder).withColumn("u", normalize_url(F.col("source_url"))).join(page, "u", "left")
+    texts = d.select(F.col("doc_id").alias("page_id"), "full_text").dropDuplicates(["page_id"])
     quotes = F.filter(F.transform(F.split("supporting_quotes", "\n", -1), lambda x: F.regexp_replace(x, '^"|"$', "")), lambda x: x != "")
-    return q.join(page, "u", "left").select(F.coalesce("p.doc_id", F.lit("none")).alias("doc_id"), F.col("question_id").alias("question"), quotes.alias("quotes"), "p.full_text")
+    return q.join(texts, "page_id", "left").select(F.coalesce("page_id", F.lit("none")).alias("doc_id"), F.col("question_id").alias("question"), quotes.alias("quotes"), "full_text")
 
 
 def q_quote_grounding(spark, folder):
@@ -146,7 +150,7 @@ def q_verification_counts(spark, folder):
 
 
 def q_metadata_fields(spark, folder):
-    return generate.attach_metadata(docs(spark, folder).select("doc_id", "extra_json")).drop("extra_json")
+    return generate.attach_metadata(docs(spark, folder, "extra_json").select("doc_id", "extra_json")).drop("extra_json")
 
 
 def q_question_numbering(spark, folder):
@@ -166,8 +170,8 @@ def q_global_cap(spark, folder):
 def q_completed_docs(spark, folder):
     from quern.sources.recorded import checkpoint_pairs
 
-    lines = docs(spark, folder).select(F.when(F.col("doc_id") < "4", F.concat(F.lit('{"doc_id":"'), "doc_id", F.lit('","pairs":[{"question":"q","answer":"A"}]}'))).when(F.col("doc_id") < "5", "{bad").otherwise("").alias("value"))
-    return generate.without_completed(docs(spark, folder).select("doc_id"), checkpoint_pairs(lines)[1])
+    lines = docs(spark, folder, "source_type").select(F.when(F.col("doc_id") < "4", F.concat(F.lit('{"doc_id":"'), "doc_id", F.lit('","pairs":[{"question":"q","answer":"A"}]}'))).when(F.col("doc_id") < "5", "{bad").otherwise("").alias("value"))
+    return generate.without_completed(docs(spark, folder, "source_type").select("doc_id"), checkpoint_pairs(lines)[1])
 
 
 def q_checkpoint_pairs(spark, folder):
@@ -179,7 +183,7 @@ def q_checkpoint_pairs(spark, folder):
 
 
 def q_cell_routing(spark, folder):
-    rows = docs(spark, folder).select("doc_id", F.get_json_object("extra_json", "$.cell").alias("cell"))
+    rows = docs(spark, folder, "extra_json").select("doc_id", F.get_json_object("extra_json", "$.cell").alias("cell"))
     return generate.export_order(rows).select("doc_id", "sheet", "cell_order")
 
 

@@ -11,7 +11,7 @@ from quern.sources.tables import table
 
 def _corpora(spark, folder):
     """The corpus parted by country of its institutions' metadata, with the scan order of the address."""
-    d = docs(spark, folder)
+    d = docs(spark, folder, "source_uri", "full_text", "extra_json")
     return d.select("source_uri", "full_text", F.lower(F.coalesce(F.get_json_object("extra_json", "$.institution_short_name"), F.lit("none"))).alias("corpus"), F.col("doc_id").alias("seq"))
 
 

@@ -22,7 +22,7 @@ def _html(spark, folder):
         F.lit("<!doctype html><html><head><title> "), _escaped(F.coalesce("title", F.lit(""))), F.lit(" </title><script>var a = '</p>';</script></head><body><nav><a href='/'>Home</a></nav><div class='x cookie-banner'>Cookies</div><main>"),
         body, F.lit("</main><footer>Footer &copy;</footer></body></html>"),
     )
-    return docs(spark, folder).select("doc_id", "source_uri", "title", F.col("full_text"), page.alias("html")).drop("title")
+    return docs(spark, folder, "source_uri", "title", "full_text").select("doc_id", "source_uri", "title", F.col("full_text"), page.alias("html")).drop("title")
 
 
 def q_title_extract(spark, folder):
@@ -39,12 +39,12 @@ def q_extract_best(spark, folder):
     half = F.expr("repeat(substring(full_text, 1, int(length(full_text) / 2)), 2)")
     given = F.array(F.struct(F.lit("main_region").alias("strategy"), F.lit(3).alias("prio"), F.col("full_text").alias("text")), F.struct(F.lit("scored").alias("strategy"), F.lit(2).alias("prio"), half.alias("text")))
     best = html.best_candidate(F.when(F.col("full_text").isNotNull(), given).otherwise(F.slice(given, 1, 0)))
-    return docs(spark, folder).select("doc_id", best["strategy"].alias("strategy"), F.length(best["text"]).alias("n_chars"))
+    return docs(spark, folder, "full_text").select("doc_id", best["strategy"].alias("strategy"), F.length(best["text"]).alias("n_chars"))
 
 
 def q_fallback_ratio(spark, folder):
     chosen = html.prefer_region(F.col("title"), F.expr("substring(full_text, 1, 60)"))
-    return docs(spark, folder).select("doc_id", chosen.alias("chosen"))
+    return docs(spark, folder, "title", "full_text").select("doc_id", chosen.alias("chosen"))
 
 
 def q_build_documents(spark, folder):
@@ -76,7 +76,7 @@ def q_url_metadata(spark, folder):
 
 
 def q_url_list(spark, folder):
-    lines = docs(spark, folder).select(F.when(F.col("source_type") == "pdf", F.concat(F.lit("# "), "source_uri")).otherwise(F.concat(F.lit(" "), "source_uri", F.lit("\t"))).alias("value"))
+    lines = docs(spark, folder, "source_type", "source_uri").select(F.when(F.col("source_type") == "pdf", F.concat(F.lit("# "), "source_uri")).otherwise(F.concat(F.lit(" "), "source_uri", F.lit("\t"))).alias("value"))
     return sources.url_lines(lines.unionByName(lines.select(F.lit("  ").alias("value"))))
 
 
@@ -88,7 +88,7 @@ def q_manual_documents(spark, folder):
 
 def _audits(spark, folder):
     """Stored characters against those of a page that is longer by a share which the id gives."""
-    d = docs(spark, folder).select("doc_id", F.col("source_uri").alias("url"), F.coalesce(F.get_json_object("extra_json", "$.country"), F.lit("none")).alias("corpus"), F.coalesce(F.length("full_text"), F.lit(0)).alias("current_chars"), F.conv(F.substring("doc_id", 1, 2), 16, 10).cast("int").alias("b"))
+    d = docs(spark, folder, "source_uri", "extra_json", "full_text").select("doc_id", F.col("source_uri").alias("url"), F.coalesce(F.get_json_object("extra_json", "$.country"), F.lit("none")).alias("corpus"), F.coalesce(F.length("full_text"), F.lit(0)).alias("current_chars"), F.conv(F.substring("doc_id", 1, 2), 16, 10).cast("int").alias("b"))
     page = F.when(F.col("b") < 8, F.lit(None)).when(F.col("b") < 16, 50).otherwise(F.col("current_chars") + F.col("current_chars") * F.col("b") / 100)
     return audit.audited(d.withColumn("page_chars", F.floor(page)))
 

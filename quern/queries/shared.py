@@ -63,8 +63,11 @@ def sql(text: str, **more: str) -> str:
     return text.strip()
 
 
-def docs(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "corpus_docs").distinct()
+def docs(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The documents without repeated rows, which are equal in all columns: with the key and the ``columns`` that are
+    wanted, so that no other is read or shuffled; all of them if none is named."""
+    documents = table(spark, folder, "corpus_docs")
+    return (documents.select("doc_id", *columns) if columns else documents).distinct()
 
 
 def questions(spark: SparkSession, folder: str) -> DataFrame:

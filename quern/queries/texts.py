@@ -28,7 +28,7 @@ def q_short_line_filter(spark, folder):
 
 
 def q_doc_identity(spark, folder):
-    return docs(spark, folder).select("source_uri", identity.doc_id(F.col("source_uri")).alias("made_id"), identity.content_hash(F.col("full_text")).alias("made_hash"), (F.col("doc_id") == identity.doc_id(F.col("source_uri"))).cast("int").alias("same"))
+    return docs(spark, folder, "source_uri", "full_text").select("source_uri", identity.doc_id(F.col("source_uri")).alias("made_id"), identity.content_hash(F.col("full_text")).alias("made_hash"), (F.col("doc_id") == identity.doc_id(F.col("source_uri"))).cast("int").alias("same"))
 
 
 def q_chunk_identity(spark, folder):
@@ -48,7 +48,7 @@ def q_sentence_split(spark, folder):
 
 def q_paragraph_split(spark, folder):
     parts = text.paragraph_split(F.col("full_text"))
-    return docs(spark, folder).select("doc_id", F.size(parts).alias("n_paragraphs"), F.element_at(F.when(F.size(parts) > 0, parts), 1).alias("first_one"))
+    return docs(spark, folder, "full_text").select("doc_id", F.size(parts).alias("n_paragraphs"), F.element_at(F.when(F.size(parts) > 0, parts), 1).alias("first_one"))
 
 
 def q_sentence_pack(spark, folder):
@@ -56,26 +56,26 @@ def q_sentence_pack(spark, folder):
 
 
 def q_chunks(spark, folder):
-    return chunking.chunk_documents(docs(spark, folder))
+    return chunking.chunk_documents(docs(spark, folder, "full_text"))
 
 
 def q_heading_sections(spark, folder):
-    return chunking.section_bodies(docs(spark, folder).select("doc_id", F.replace("full_text", F.lit("\r"), F.lit("")).alias("full_text")))
+    return chunking.section_bodies(docs(spark, folder, "full_text").select("doc_id", F.replace("full_text", F.lit("\r"), F.lit("")).alias("full_text")))
 
 
 def q_url_normalize(spark, folder):
-    uris = docs(spark, folder).select(F.col("source_uri").alias("url")).union(questions(spark, folder).select("source_url")).distinct()
+    uris = docs(spark, folder, "source_uri").select(F.col("source_uri").alias("url")).union(questions(spark, folder).select("source_url")).distinct()
     return uris.select("url", urls.normalize_url(F.col("url")).alias("normalized"), F.coalesce(urls.host_of(F.col("url")), F.lit("")).alias("host"))
 
 
 def q_url_slug(spark, folder):
-    return docs(spark, folder).select("doc_id", text.slugify(F.col("title")).alias("slug"), urls.title_from_uri(F.col("source_uri")).alias("last_part"), text.path_part(F.col("title")).alias("part"))
+    return docs(spark, folder, "title", "source_uri").select("doc_id", text.slugify(F.col("title")).alias("slug"), urls.title_from_uri(F.col("source_uri")).alias("last_part"), text.path_part(F.col("title")).alias("part"))
 
 
 def q_tool_url_filter(spark, folder):
     from quern.sources.pages import without_tool_pages
 
-    return without_tool_pages(docs(spark, folder), "source_uri").select("doc_id", "source_uri")
+    return without_tool_pages(docs(spark, folder, "source_uri"), "source_uri").select("doc_id", "source_uri")
 
 
 def q_city_display(spark, folder):

@@ -213,8 +213,12 @@ def fit(records: DataFrame, key: str = "doc_id", title: str = "title", text: str
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(features, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["role", "features", "counts"])
 
     held: dict[str, list] = {"trusted": [], "unlabelled": [], "span": [], "other": []}
-    for r in chosen.mapInArrow(run, "role string, features array<int>, counts array<int>").toArrow().to_pylist():
-        held[r["role"]].append((np.array(r["features"], np.int64), np.array(r["counts"], np.float64)))
+    for part in chosen.mapInArrow(run, "role string, features array<int>, counts array<int>").toArrow().to_batches():
+        ends = part.column("features").offsets.to_numpy()
+        features, counts = part.column("features").values.to_numpy().astype(np.int64), part.column("counts").values.to_numpy().astype(np.float64)
+        starts = part.column("counts").offsets.to_numpy()
+        for i, name in enumerate(part.column("role").to_pylist()):
+            held[name].append((features[ends[i] : ends[i + 1]], counts[starts[i] : starts[i + 1]]))
     return Model(learn(held["trusted"], held["unlabelled"]), learn(held["span"], held["other"]))
 
 

@@ -60,8 +60,9 @@ PLACEHOLDER = re.compile(
 )
 _DIGITS = re.compile(r"\d+")
 _INNER = re.compile(r"[^\W_]+")
-#: Upper ends of the classes of line length, in words.
+#: Upper ends of the classes of line length, in words, and the limits that the longest line of a text may stay under.
 _LENGTHS = np.array([1, 3, 6, 10, 16, 26, 40])
+_LIMITS = np.array([16, 26, 40])
 
 
 def _number(feature: str) -> int:
@@ -69,7 +70,7 @@ def _number(feature: str) -> int:
 
 
 _LENGTH_OF_LINE = np.array([_number(f"\x00line {k}") for k in range(len(_LENGTHS) + 1)])
-_LENGTH_OF_MOST = np.array([_number(f"\x00most {k}") for k in range(len(_LENGTHS) + 1)])
+_UNDER = np.array([_number(f"\x00under {k}") for k in range(len(_LIMITS))])
 
 
 class Lines:
@@ -90,7 +91,8 @@ class Lines:
         self.length = np.searchsorted(_LENGTHS, words)
         most = np.zeros(self.n, np.int64)
         np.maximum.at(most, self.doc, words)
-        self.most = np.searchsorted(_LENGTHS, most)
+        #: for each limit whether all lines of the text stay under it; of a short text several hold
+        self.under = most[:, None] <= _LIMITS
         self.has = np.bincount(self.doc, minlength=self.n) > 0
 
     def counts(self) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -99,7 +101,7 @@ class Lines:
         out = []
         for i in range(self.n):
             a, b = ends[i], ends[i + 1]
-            own = np.concatenate([self.numbers[self.codes[self.offsets[a] : self.offsets[b]]], _LENGTH_OF_LINE[self.length[a:b]], _LENGTH_OF_MOST[self.most[i : i + 1]]])
+            own = np.concatenate([self.numbers[self.codes[self.offsets[a] : self.offsets[b]]], _LENGTH_OF_LINE[self.length[a:b]], _UNDER[self.under[i]]])
             out.append(np.unique(own, return_counts=True))
         return out
 
@@ -108,8 +110,8 @@ class Lines:
         return sums(weights[self.numbers][self.codes], self.offsets) + weights[_LENGTH_OF_LINE][self.length]
 
     def record_scores(self, weights: np.ndarray, prior: float) -> np.ndarray:
-        """The log odds of each text: those of its lines and of the length of its longest."""
-        return np.bincount(self.doc, self.scores(weights), self.n) + weights[_LENGTH_OF_MOST][self.most] + prior
+        """The log odds of each text: those of its lines and of the limits that its longest line stays under."""
+        return np.bincount(self.doc, self.scores(weights), self.n) + self.under @ weights[_UNDER] + prior
 
     def spans(self) -> list[tuple[int, str]]:
         """(text, span) of every marked span of the lines."""

@@ -51,8 +51,9 @@ def first_good_attempt(questions: DataFrame, key: str = "doc_id", attempt: str =
 def failing_quotes(quotes: Column, source: Column) -> Column:
     """The quotes that do not stand in the source, compared without case, signs and double spaces. A quote of which
     nothing is left stands everywhere; a null source holds nothing."""
-    there = quote_normalize(F.coalesce(source, F.lit("")))
-    return F.filter(quotes, lambda q: ~F.contains(there, quote_normalize(F.coalesce(q, F.lit("")))))
+    there = F.array(quote_normalize(F.coalesce(source, F.lit(""))))
+    # bound as a lambda's variable, the source is normalized once a row and not once a quote
+    return F.get(F.transform(there, lambda t: F.filter(quotes, lambda q: ~F.contains(t, quote_normalize(F.coalesce(q, F.lit("")))))), 0)
 
 
 def verify_quotes(questions: DataFrame, quotes: str = "quotes", source: str = "full_text") -> DataFrame:
